@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 POWERS = "[" + ", ".join(str(1 << k) for k in range(17)) + "]"
 SAMPLE_SQL = f"""list_min(list_filter({POWERS}, lambda s: s >= {{a}} AND (s = 65536 OR (greatest({{w}} // s, 1) * greatest({{h}} // s, 1) * 4 <= 67108864
-  AND greatest({{w}} // s, 1) <= 4096 AND greatest({{h}} // s, 1) <= 4096))"""
+  AND greatest({{w}} // s, 1) <= 4096 AND greatest({{h}} // s, 1) <= 4096))))"""
 START_SQL = f"list_max(list_filter({POWERS}, lambda s: s = 1 OR ({{w}} // s >= {{tw}} AND {{h}} // s >= {{th}})))"
 
 
