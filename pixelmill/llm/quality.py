@@ -56,7 +56,8 @@ def metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
         repeated.cast("long").alias("n_repeat_words"),
         F.size(ln).cast("long").alias("n_lines"),
     )
-    return df.withColumn("_pm_metrics", found).drop(*(f"{_AREA}{x}" for x in "twspl"))
+    # a generator, not a projection: a filter above cannot be rewritten into copies of all these expressions
+    return df.select("*", F.explode(F.array(found)).alias("_pm_metrics")).drop(*(f"{_AREA}{x}" for x in "twspl"))
 
 
 def base_failed(m: Column) -> Column:
