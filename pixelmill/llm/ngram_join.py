@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import Table, cut, text_or_empty
+from pixelmill.llm.common import Table, cut, release, text_or_empty
 from pixelmill.session import ship
 
 _WORKER: dict = {}
@@ -141,58 +141,102 @@ def prefixes(docs: DataFrame, table, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, psig binary, prefix array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, sig, shingles) of the wanted representatives. A filter of fixed size, sent to all tasks, keeps most other texts
-    from being hashed and sent; the join decides."""
-    spark = docs.sparkSession
-    bits = 23
-    rows = wanted.select((F.xxhash64("rep").bitwiseAND(F.lit((1 << bits) - 1))).alias("b")).distinct()
+def _bitmap(wanted: DataFrame, bits: int = 23) -> np.ndarray:
+    """A filter of the wanted representatives, 1 MB at any input; it may admit others."""
+    rows = wanted.select((F.xxhash64("rep").bitwiseAND(F.lit((1 << bits) - 1))).alias("b"))
     words = rows.groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("x")).toArrow()
-    data = np.zeros(1 << (bits - 6), np.int64)  # 1 MB at any input
+    data = np.zeros(1 << (bits - 6), np.int64)
     data[words.column("w").to_numpy()] = words.column("x").to_numpy()
-    sent = spark.sparkContext.broadcast(data)
+    return data
+
+
+_ITEMS = "rep long, sig binary, n long, items binary"
+
+
+def _admitted(source: DataFrame, mask: np.ndarray, read) -> DataFrame:
+    """(rep, sig, n, items) of source's rows that the filter admits, so that most others are neither hashed nor sent. A join
+    decides. read: (sig, n, items) from a row after its id and the id's hash."""
+    sent = source.sparkSession.sparkContext.broadcast(mask)
 
     def run(batches):
         mask = sent.value
+        low = 64 * len(mask) - 1
         for b in batches:
-            h = b.column(2).to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
+            h = b.column(1).to_numpy(zero_copy_only=False) & low
             may = np.flatnonzero((mask[h >> 6] >> (h & 63)) & 1)
-            if len(may):
-                b = b.take(pa.array(may))
-                for lo in range(0, b.num_rows, 256):
-                    part = b.slice(lo, 256)
-                    found = [shingles(t) for t in part.column(1).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found]), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "sig", "items"])
-
-    found = docs.filter("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "rep long, sig binary, items binary")
-    return found.join(wanted.select("rep", "sig"), ["rep", "sig"], "left_semi").dropDuplicates(["rep", "sig"]).select("rep", "items")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, share: int = 512) -> DataFrame:
-    """The pairs (hub, x) that link. A hub's set goes to each share of its partners, theirs to their hubs."""
-    hubs = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("k"))
-    salts = hubs.withColumn("shares", F.ceil(F.col("k") / share).cast("int"))
-    left = salts.join(sets.withColumnRenamed("rep", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"), "items")
-    right = pairs.join(salts, "hub").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int"))
-    right = right.join(sets.withColumnRenamed("rep", "x"), "x").select("hub", "salt", "x", "items")
-    both = left.unionByName(right).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("x"))
+            for lo in range(0, len(may), 256):
+                part = b.take(pa.array(may[lo : lo + 256]))
+                found = {}
+                for row in zip(*(part.column(k) for k in range(part.num_columns)), strict=True):
+                    sig, n, items = read(*row[2:])
+                    found[row[0].as_py(), sig] = n, items  # rows that repeat count once
+                columns = ([k[0] for k in found], [k[1] for k in found], [v[0] for v in found.values()], [v[1] for v in found.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["rep", "sig", "n", "items"])
+
+    return source.mapInArrow(run, _ITEMS)
+
+
+def _read_text(text):
+    x = shingles(text.as_py())
+    return xxhash.xxh3_128_digest(x.tobytes()), len(x), x.tobytes()
+
+
+def _read_head(sig, n, prefix):
+    return sig.as_py(), n.as_py(), np.sort(prefix.values.to_numpy().view(np.uint64)).tobytes()
+
+
+def _alike(percent: int):
+    def test(a, b, na, nb):
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (na + nb - both)
+
+    return test
+
+
+def _may_be_alike(percent: int):
+    """What two prefixes allow. The shingles both sets hold lie in both prefixes, but for those after the end of the prefix that
+    ends first: at most what its set has beyond it."""
+
+    def test(a, b, na, nb):
+        need = -(-percent * (na + nb) // (100 + percent))
+        return len(np.intersect1d(a, b, assume_unique=True)) + max(na - len(a), nb - len(b)) >= need
+
+    return test
+
+
+def _compared(pairs: DataFrame, classes: DataFrame, items, test, share: int = 512) -> DataFrame:
+    """The pairs (hub, x) that pass a test of their items. A hub's items go once to each share of its partners, a partner's to
+    each of its hubs. items: from wanted representatives to (rep, sig, n, items)."""
+    hubs = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("shares"))
+    own = hubs.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(False).alias("partner"))
+    theirs = pairs.join(hubs, "hub").select(F.col("x").alias("rep"), "hub", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("salt"), F.lit(True).alias("partner"))
+    roles = cut(own.unionByName(theirs).join(classes.select("rep", "sig"), "rep"))
+    sent = roles.join(items(roles.select("rep")), ["rep", "sig"]).select("hub", "salt", "partner", F.col("rep").alias("x"), "n", "items")
+    both = sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "partner")
 
     def run(batches):
-        own, hub_set = None, None
+        now, first = None, None
         for b in batches:
             out: tuple[list, list] = ([], [])
-            for hub, salt, x, items in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                items = np.frombuffer(items, np.uint64)
-                if x is None:
-                    own, hub_set = (hub, salt), items
-                elif own == (hub, salt):
-                    both = len(np.intersect1d(hub_set, items, assume_unique=True))
-                    if 100 * both >= percent * (len(hub_set) + len(items) - both):
-                        out[0].append(hub)
-                        out[1].append(x)
+            for hub, salt, partner, x, n, data in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                data = np.frombuffer(data, np.uint64)
+                if not partner:
+                    now, first = (hub, salt), (data, n)
+                elif now == (hub, salt) and test(first[0], data, first[1], n):
+                    out[0].append(hub)
+                    out[1].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["hub", "x"])
 
-    return both.mapInArrow(run, "hub long, x long")
+    return cut(both.mapInArrow(run, "hub long, x long").distinct())
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link. Their prefixes refute most others, at a fifth of the size of whole sets."""
+    short = heads.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "sig", "n", "prefix")
+    left = _compared(pairs, classes, lambda w: _admitted(short, _bitmap(w), _read_head), _may_be_alike(percent))
+    release(docs.sparkSession)
+    whole = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    return _compared(left, classes, lambda w: _admitted(whole, _bitmap(w), _read_text), _alike(percent))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,27 +292,30 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     # classes of equal sets, then groups of equal prefixes and sizes
     classes = cut(heads.df.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("psig").alias("psig")))
     groups = classes.groupBy("n", "psig").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("many"))
-    heads_of = heads.df.filter("doc_id is not null").select(F.col("doc_id").alias("gid"), "n", "psig", "prefix").dropDuplicates(["gid", "psig"])
-    postings = heads_of.join(groups, ["gid", "n", "psig"]).select("gid", "n", F.posexplode("prefix").alias("pos", "s"))
+    leaders = heads.df.filter("doc_id is not null").select(F.col("doc_id").alias("gid"), "n", "psig", "prefix")
+    leaders = leaders.join(groups.select("gid", "n", "psig"), ["gid", "n", "psig"]).dropDuplicates(["gid", "n", "psig"])
+    postings = leaders.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "s"))
     hottest = order[0][order[1] > hot].view(np.int64).tolist()  # part of a table of bounded size
     if hottest:
         hot_df = F.broadcast(spark.createDataFrame([(x,) for x in hottest], "s long"))
         cold, warm = postings.join(hot_df, "s", "left_anti"), postings.join(hot_df, "s", "left_semi")
     else:
         cold, warm = postings, None
-    lists = cold.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("s"))).filter("k > 1").drop("k")
+    found = cold.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("s"))).filter("k > 1").drop("k")
     if warm is not None:
-        lists = lists.unionByName(warm)
-    of = classes.join(groups.filter("many > 1"), ["n", "psig"]).select("gid", "rep", "psig", "n")
+        found = found.unionByName(warm)
+    shared = Table(found.select("s", "gid", "n", "pos"), "lists")
+    release(spark)
+    of = classes.join(groups.filter("many > 1"), ["n", "psig"]).select("gid", "rep", "psig", F.col("n").cast("int").alias("n"))
     many = of.filter("gid <> rep").select("gid", "rep")
-    grown = lists.join(many, "gid").select("s", "rep", "n", "pos")
+    grown = shared.df.join(many, "gid").select("s", "rep", "n", "pos")
     alike = of.select(F.xxhash64("psig").alias("s"), "rep", "n", F.lit(0).alias("pos"))  # members of one group meet in a list of their own
-    lists = cut(lists.select("s", F.col("gid").alias("rep"), "n", "pos").unionByName(grown).unionByName(alike))
-    heads.drop()
+    lists = shared.df.select("s", F.col("gid").alias("rep"), "n", "pos").unionByName(grown).unionByName(alike)
     near = Window.partitionBy("s").orderBy("n")
     sized = lists.withColumn("up", F.lead("n").over(near)).withColumn("down", F.lag("n").over(near)).filter(f"100 * n >= {percent} * up or 100 * down >= {percent} * n")
-    lists = cut(sized.select("s", "rep", "n", "pos"))
-    sets = Table(_sets(docs, classes.join(lists.select("rep").distinct(), "rep", "left_semi")), "sets")
+    sized = Table(sized.select("s", "rep", "n", "pos"), "sized")
+    shared.drop()
+    lists = sized.df
     links, edges = [], None
     for step in range(3):
         now = _labelled(lists, edges)
@@ -282,11 +329,14 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
             left = now.join(size, "s").filter("c <> main")
         pairs = left.alias("a").join(now.alias("b"), F.expr(f"a.s = b.s AND a.c <> b.c AND {_fits('a', 'b', percent)}"))
         pairs = cut(pairs.select(F.expr("least(a.rep, b.rep)").alias("hub"), F.expr("greatest(a.rep, b.rep)").alias("x")).distinct())
-        links.append(cut(_verified(pairs, sets.df, percent)))
+        links.append(_verified(pairs, docs, heads.df, classes, percent))
+        del now, left, pairs
+        release(spark)
         edges = links[0]
         for more in links[1:]:
             edges = edges.unionByName(more)
-    sets.drop()
+    sized.drop()
+    heads.drop()
     comp = cut(components(edges)).withColumnRenamed("v", "rep")
     whole = classes.select("sig", "rep").join(comp, "rep", "left").select("sig", F.coalesce("c", "rep").alias("c"))
     out = members.join(whole, "sig", "left")
