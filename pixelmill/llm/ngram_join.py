@@ -182,7 +182,8 @@ def _read_text(text):
 
 
 def _read_head(sig, n, prefix):
-    return sig.as_py(), n.as_py(), np.sort(prefix.values.to_numpy().view(np.uint64)).tobytes()
+    """The low halves of a prefix's hashes. Halves that coincide raise the overlap found, so they refute no link."""
+    return sig.as_py(), n.as_py(), np.sort(prefix.values.to_numpy().view(np.uint64).astype(np.uint32)).tobytes()
 
 
 def _alike(percent: int):
@@ -204,9 +205,9 @@ def _may_be_alike(percent: int):
     return test
 
 
-def _compared(pairs: DataFrame, classes: DataFrame, items, test, share: int = 512) -> DataFrame:
+def _compared(pairs: DataFrame, classes: DataFrame, items, kind: type, test, share: int = 512) -> DataFrame:
     """The pairs (hub, x) that pass a test of their items. A hub's items go once to each share of its partners, a partner's to
-    each of its hubs. items: from wanted representatives to (rep, sig, n, items)."""
+    each of its hubs. items: from wanted representatives to (rep, sig, n, items); kind: what the items' bytes are."""
     hubs = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("shares"))
     own = hubs.select(F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(False).alias("partner"))
     theirs = pairs.join(hubs, "hub").select(F.col("x").alias("rep"), "hub", F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("salt"), F.lit(True).alias("partner"))
@@ -219,7 +220,7 @@ def _compared(pairs: DataFrame, classes: DataFrame, items, test, share: int = 51
         for b in batches:
             out: tuple[list, list] = ([], [])
             for hub, salt, partner, x, n, data in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                data = np.frombuffer(data, np.uint64)
+                data = np.frombuffer(data, kind)
                 if not partner:
                     now, first = (hub, salt), (data, n)
                 elif now == (hub, salt) and test(first[0], data, first[1], n):
@@ -231,12 +232,12 @@ def _compared(pairs: DataFrame, classes: DataFrame, items, test, share: int = 51
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link. Their prefixes refute most others, at a fifth of the size of whole sets."""
+    """The pairs that link. Their prefixes refute most others, at a tenth of the size of whole sets."""
     short = heads.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "sig", "n", "prefix")
-    left = _compared(pairs, classes, lambda w: _admitted(short, _bitmap(w), _read_head), _may_be_alike(percent))
+    left = _compared(pairs, classes, lambda w: _admitted(short, _bitmap(w), _read_head), np.uint32, _may_be_alike(percent))
     release(docs.sparkSession)
     whole = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
-    return _compared(left, classes, lambda w: _admitted(whole, _bitmap(w), _read_text), _alike(percent))
+    return _compared(left, classes, lambda w: _admitted(whole, _bitmap(w), _read_text), np.uint64, _alike(percent))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -316,10 +317,12 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     sized = Table(sized.select("s", "rep", "n", "pos"), "sized")
     shared.drop()
     lists = sized.df
-    links, edges = [], None
+    links, edges, tested = [], None, []
     for step in range(3):
         now = _labelled(lists, edges)
-        now = cut(now) if step else now
+        if step:
+            now = cut(now)
+            lists = now.select("s", "rep", "n", "pos")  # components only merge: the other lists stay done
         if step < 2:
             by = Window.partitionBy("s").orderBy("rep" if not step else F.xxhash64("rep"))
             left = now.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= (hubs if step else 1))
@@ -328,14 +331,19 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
             size = now.groupBy("s", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
             left = now.join(size, "s").filter("c <> main")
         pairs = left.alias("a").join(now.alias("b"), F.expr(f"a.s = b.s AND a.c <> b.c AND {_fits('a', 'b', percent)}"))
-        pairs = cut(pairs.select(F.expr("least(a.rep, b.rep)").alias("hub"), F.expr("greatest(a.rep, b.rep)").alias("x")).distinct())
+        pairs = pairs.select(F.expr("least(a.rep, b.rep)").alias("hub"), F.expr("greatest(a.rep, b.rep)").alias("x")).distinct()
+        for before in tested:  # what was refuted once is not sent again
+            pairs = pairs.join(before, ["hub", "x"], "left_anti")
+        pairs = cut(pairs)
+        tested.append(pairs)
         links.append(_verified(pairs, docs, heads.df, classes, percent))
         del now, left, pairs
         release(spark)
         edges = links[0]
         for more in links[1:]:
             edges = edges.unionByName(more)
-    sized.drop()
+        if step == 1:
+            sized.drop()
     heads.drop()
     comp = cut(components(edges)).withColumnRenamed("v", "rep")
     whole = classes.select("sig", "rep").join(comp, "rep", "left").select("sig", F.coalesce("c", "rep").alias("c"))
