@@ -25,6 +25,7 @@ from pixelmill.session import ship
 _RUN = "digest binary, best long, n long"
 #: A digest held by more rows than a HOT-th of the table is hot; there are fewer than HOT of those.
 HOT = 1000
+BUCKETS = 1 << 20
 
 
 class Bloom:
@@ -141,6 +142,16 @@ def sha256(text):
     return F.unhex(F.sha2(text, 256))
 
 
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+
+
+def _buckets(digests: DataFrame, key: str) -> DataFrame:
+    """The buckets that hold a digest: BUCKETS rows at most, at any input. Other rows need no join with the digests, so their
+    texts stay where they are."""
+    return F.broadcast(digests.select(_bucket(key).alias("_pm_bucket")).distinct())
+
+
 def _found(df: DataFrame, id_col: str, text_col: str, largest: bool, digest, memtable: int):
     """(all rows' ids and digests, each (id, text) of a verified group with its winner, digests seen twice)."""
     ship(df.sparkSession)
@@ -154,7 +165,8 @@ def _found(df: DataFrame, id_col: str, text_col: str, largest: bool, digest, mem
     hot = F.broadcast(twice.filter(F.col("n") > limit).select("digest"))  # fewer than HOT rows
     cold = twice.filter(F.col("n") <= limit).select("digest")
     rest = base.join(hot, "digest", "left_anti")
-    hits = base.join(hot, "digest", "left_semi").unionByName(rest.join(cold, "digest", "left_semi"))
+    near = rest.withColumn("_pm_bucket", _bucket("digest")).join(_buckets(cold, "digest"), "_pm_bucket", "left_semi").drop("_pm_bucket")
+    hits = base.join(hot, "digest", "left_semi").unionByName(near.join(cold, "digest", "left_semi"))
     # The texts themselves are the keys here: equal digests of unequal bytes part.
     same = cut(hits.groupBy("digest", "text", "doc_id").agg(F.count(F.lit(1)).alias("c")))
     pick = F.max if largest else F.min
@@ -187,8 +199,10 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lar
     tagged = df.withColumn("_pm_key", sha256(F.coalesce(df[text_col].cast("string"), F.lit(""))))
     match = lambda k: (F.col("_pm_key") == k["_pm_digest"]) & F.col(id_col).cast("long").eqNullSafe(k["_pm_id"])
     losers, again = known.filter(~F.col("wins")), known.filter(F.col("wins") & (F.col("c") > 1))
-    out = tagged.join(losers, match(losers), "left_anti")
+    tagged, held = tagged.withColumn("_pm_bucket", _bucket("_pm_key")), _buckets(known, "_pm_digest")
+    alone = tagged.join(held, "_pm_bucket", "left_anti").drop("_pm_bucket")
+    out = tagged.join(held, "_pm_bucket", "left_semi").drop("_pm_bucket").join(losers, match(losers), "left_anti")
     if not again.isEmpty():  # rows equal in id and text: one of them
         more = out.join(again, match(again), "left_semi").dropDuplicates([id_col, "_pm_key"])
         out = out.join(again, match(again), "left_anti").unionByName(more)
-    return out.drop("_pm_key")
+    return alone.unionByName(out).drop("_pm_key")
