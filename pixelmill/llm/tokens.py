@@ -1,8 +1,9 @@
 """A byte-level BPE encoder that asks the tokenizers library once per distinct word.
 
 Byte-level BPE merges within a pre-token only, so a text's ids are its pre-tokens' ids in a row. Texts of
-common characters are cut at single spaces into units, each of whose ids are remembered; other texts go to
-the library whole. Equality with the library on whole texts is tested.
+common characters are cut at single spaces into units, each of whose ids are remembered; new words go to the
+library many at a time, already split, with a byte between them that no such text holds. Other texts go to the
+library whole. Equality with the library on whole texts is tested.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import re
 from array import array
 from itertools import chain
 
+import numpy as np
+
 #: Same matches as the vocabulary's own splitting pattern on texts that PLAIN admits.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 ODD = re.compile("[^\n\x20-\x7eÀ-ɏ]")
@@ -29,37 +32,73 @@ def units(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes. Memory is bounded by max_units and max_bytes."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    Two generations of words are remembered, each of at most max_words and max_bytes (and one call's): a full one
+    becomes the old one, whose words move up when they are met again.
+    """
 
-    def __init__(self, path: str, max_units: int = 300_000, max_bytes: int = 48 << 20):
+    def __init__(self, path: str, max_words: int = 400_000, max_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import pre_tokenizers
+
+        self.path, self.library = path, None
+        self.split = self._load()
+        self.split.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # for words as WORDS finds them
+        (self.gap,) = self.split.encode("\0", add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.max_words, self.max_bytes, self.bytes = max_words, max_bytes, 0
+
+    def _load(self):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.max_units, self.max_bytes, self.bytes = max_units, max_bytes, 0
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True  # their strings in a text are ordinary text
+        return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+    def _whole(self, text: str) -> bytes:
+        if self.library is None:
+            self.library = self._load()
+        (found,) = self.library.encode_batch_fast([text], add_special_tokens=False)
+        return array("I", found.ids).tobytes()
+
+    def _learn(self, words: list[str], at_once: int = 1000) -> None:
+        """Ids of new words, all of plain texts."""
+        for i in range(0, len(words), at_once):
+            part = words[i : i + at_once]
+            given = [x for w in part for x in (w, "\0")]
+            (found,) = self.split.encode_batch_fast([given], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == self.gap)).tolist()
+            data = ids.tobytes()
+            self.bytes += len(data) + sum(map(len, part))
+            self.known.update((w, data[lo:hi]) for w, lo, hi in zip(part, [0, *(x + 4 for x in ends[:-1])], ends, strict=True))
+
+    def _recall(self, words: set[str]) -> set[str]:
+        """Moves up what the old generation knows; the rest."""
+        for w in words & self.old.keys():
+            self.known[w] = x = self.old[w]
+            self.bytes += len(w) + len(x)
+        return words - self.known.keys()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [units(x) if plain(x) else None for x in texts]
-        fresh = set(chain.from_iterable(x for x in cut if x is not None)).difference(self.units)
+        fresh = self._recall(set(chain.from_iterable(x for x in cut if x is not None)).difference(self.known))
         if fresh:
-            split = {u: WORDS.findall(u) for u in fresh}
-            new = list(set(chain.from_iterable(split.values())).difference(self.words))
-            self.words.update(zip(new, self._ids(new), strict=True))
-            get = self.words.__getitem__
-            for u, words in split.items():
-                self.units[u] = x = b"".join(map(get, words))
-                self.bytes += len(u) + len(x)
-        get = self.units.__getitem__
-        out = [b"".join(map(get, c)) if c is not None else self._ids([x])[0] for x, c in zip(texts, cut, strict=True)]
-        if len(self.units) > self.max_units or self.bytes > self.max_bytes:
-            self.units, self.words, self.bytes = {}, {}, 0
+            mixed = {u: WORDS.findall(u) for u in fresh if not (u[:1] == " " and u[1:].isalpha())}
+            # A word is a unit of its own: WORDS finds it again as a whole.
+            parts = set(chain.from_iterable(mixed.values())).difference(self.known)
+            self._learn(list(self._recall(parts) | (fresh - mixed.keys())))
+            get = self.known.__getitem__
+            for u, words in mixed.items():
+                if len(words) != 1:
+                    self.known[u] = x = b"".join(map(get, words))
+                    self.bytes += len(u) + len(x)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, c)) if c is not None else self._whole(x) for x, c in zip(texts, cut, strict=True)]
+        if len(self.known) > self.max_words or self.bytes > self.max_bytes:
+            self.old, self.known, self.bytes = self.known, {}, 0
         return out
 
 

@@ -51,7 +51,7 @@ def library(text):
 
 
 def test_encoder_equals_library():
-    enc = tokens.Encoder(JSON_VOCAB, max_units=50)
+    enc = tokens.Encoder(JSON_VOCAB, max_words=50)
     texts = [t or "" for _, t, *_ in rows()] + ["a  b", " a", "a ", "\n\n a\n\nb", "'s 't x's", "a\n b \nc", "1_2 __ 3"]
     for _ in range(2):  # again with whatever is remembered
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [library(t) for t in texts]
