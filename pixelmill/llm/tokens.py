@@ -8,6 +8,7 @@ library whole. Equality with the library on whole texts is tested.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -38,7 +39,7 @@ class Encoder:
     becomes the old one, whose words move up when they are met again.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000, max_bytes: int = 32 << 20):
+    def __init__(self, path: str, max_words: int = 600_000, max_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import pre_tokenizers
 
@@ -83,6 +84,15 @@ class Encoder:
         return words - self.known.keys()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        on = gc.isenabled()
+        gc.disable()  # many strings and no cycles: collections would walk everything remembered
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [units(x) if plain(x) else None for x in texts]
         fresh = self._recall(set(chain.from_iterable(x for x in cut if x is not None)).difference(self.known))
         if fresh:
