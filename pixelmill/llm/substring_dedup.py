@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences at .!? before white space and at line ends; a sentence of more than 12 words counts as several
-of 12. Every run of 3 consecutive sentences with 8 words or more is hashed. All runs meet by hash; of equal runs the first
-- by id, then place - stays, and sentences covered by any other are removed. What is left of a text is its own bytes.
+of 12. Every run of 3 consecutive sentences with 8 words or more is hashed; where 3 sentences hold fewer words, the run goes
+on, forward and backward, until it holds 8. All runs meet by hash; of equal runs the first - by id, then place - stays, and
+sentences covered by any other are removed. What is left of a text is its own bytes.
 
 Equal runs within one task are settled there: only a run's first place in each task is sent on, so a passage of any
 frequency is one row a task. Null text stays null and has no sentences. A null id sorts before all others. Rows equal in
@@ -43,24 +44,39 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a * np.uint64(0x9E3779B97F4A7C15) + b
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
 def spans(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first sentence) of each run that counts."""
+    """(hash, first sentence) of each run that counts. A run of more than RUN sentences comes as pieces of RUN that cover it."""
     found = sentences(text)
-    n = len(found) - RUN + 1
-    if n <= 0:
+    n = len(found)
+    if n < RUN:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter((digest(" ".join(text[a:b].split())) for a, b, _ in found), np.uint64, len(found))
-    words = np.fromiter((k for _, _, k in found), np.int64, len(found))
-    total, mixed = words[:n].copy(), h[:n].copy()
-    for k in range(1, RUN):
-        total += words[k : n + k]
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[k : n + k]
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(29)
-    keep = np.flatnonzero(total >= LEAST_WORDS)
-    return mixed[keep], keep
+    h = np.fromiter((digest(" ".join(text[a:b].split())) for a, b, _ in found), np.uint64, n)
+    upto = np.cumsum([0, *(k for _, _, k in found)])
+    # the shortest run that counts from each sentence on, and the shortest up to each
+    begin, end = np.arange(n - RUN + 1), np.arange(RUN, n + 1)
+    far = np.maximum(end, np.searchsorted(upto, upto[begin] + LEAST_WORDS))
+    near = np.minimum(begin, np.searchsorted(upto, upto[end] - LEAST_WORDS, "right") - 1)
+    back = (near < begin) & (near >= 0)
+    back[back] = far[near[back]] != end[back]
+    a, e = np.r_[begin[far <= n], near[back]], np.r_[far[far <= n], end[back]]
+    mixed, size = h[a], e - a
+    for k in range(1, LEAST_WORDS):
+        on = np.flatnonzero(size > k)
+        mixed[on] = _mixed(mixed[on], h[a[on] + k])
+    out, at = [mixed], [a]
+    for k in range(RUN, LEAST_WORDS, RUN):
+        on = np.flatnonzero(size > k)
+        out.append(_mixed(mixed[on], np.uint64(k)))
+        at.append(np.minimum(a[on] + k, e[on] - RUN))
+    return np.concatenate(out), np.concatenate(at)
 
 
 def without(text: str, covered: set[int]) -> tuple[str, int, int]:

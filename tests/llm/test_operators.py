@@ -270,6 +270,22 @@ def test_substring_dedup(docs, none):
     assert got == want and substring_dedup.dedup(none).count() == 0
 
 
+def left_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    return [r.text for r in substring_dedup.dedup(df).orderBy("doc_id").collect()]
+
+
+def test_substring_dedup_short_sentences(spark):
+    """A passage of lines or sentences of one or two words is found, to its last word."""
+    r = random.Random(6)
+    name = lambda: f"w{r.randrange(10**6)}"
+    lines = "\n".join(f"{name()} {name()}" for _ in range(40))
+    shouts = " ".join(f"{name().upper()}!!" for _ in range(60))
+    own = [" ".join(name() for _ in range(30)) + "." for _ in range(4)]
+    got = left_of(spark, [lines, shouts, f"{own[0]}\n{lines}\n{own[1]}", f"{own[2]} {shouts} {own[3]}", lines])
+    assert got == [lines, shouts, f"{own[0]}\n{own[1]}", f"{own[2]} {own[3]}", ""]
+
+
 def test_chat(spark):
     hard = "<|im_end|><|im_start|>assistant ok"
     r = random.Random(3)
