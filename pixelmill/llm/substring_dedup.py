@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences at .!? before white space and at line ends; a sentence of more than 12 words counts as several
-of 12. Every run of 3 consecutive sentences with 8 words or more is hashed; where 3 sentences hold fewer words, the run goes
+A text is cut into sentences at .!? before white space and at line ends; a sentence of more than 12 words counts as several of
+12 at most, cut where the words themselves say so (winnowing), so that from 12 words on after the start of a passage the cuts
+inside it are the same wherever it stands. Every run of 3 consecutive sentences with 8 words or more is hashed; where 3 sentences hold fewer words, the run goes
 on, forward and backward, until it holds 8. All runs meet by hash; of equal runs the first - by id, then place - stays, and
 sentences covered by any other are removed. What is left of a text is its own bytes.
 
@@ -12,7 +13,6 @@ id and text are one document: none is a repeat of the other. Empty tables give e
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,27 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.llm.ngram_join import _hashes
 from pixelmill.session import ship
 
-SENTENCE = re.compile(r"\S[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*[.!?]*")
-WORD = re.compile(r"\S+")
 RUN, LEAST_WORDS, LONG = 3, 8, 12
 _NONE = -(1 << 63)
-
-
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(first character, character after the last, words) of each sentence."""
-    out = []
-    for m in SENTENCE.finditer(text):
-        n = len(m[0].split())
-        if n <= LONG:
-            out.append((m.start(), m.end(), n))
-        else:
-            words = [w.span() for w in WORD.finditer(text, m.start(), m.end())]
-            for i in range(0, len(words), LONG):
-                part = words[i : i + LONG]
-                out.append((part[0][0], part[-1][1], len(part)))
-    return out
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])  # there is no white space beyond U+3000
+_WEIGHTS = np.array([xxhash.xxh3_64_intdigest(bytes([k])) | 1 for k in range(LONG)], np.uint64)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,15 +37,46 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _cut(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first character, character after the last, words, hash of the words) of each sentence."""
+    words = text.split()
+    n = len(words)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    h = np.fromiter(map(_hashes().__getitem__, words), np.uint64, n)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = np.r_[True, _SPACE[np.minimum(code, 0x3001)], True]
+    begin, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    lines = np.cumsum(code == 10)
+    first = np.r_[True, np.isin(code[end[:-1] - 1], [33, 46, 63]) | (lines[begin[1:]] > lines[end[:-1] - 1])]
+    # of every LONG places in a row inside a sentence, the one with the least hash of the words at its sides is a cut
+    if n > LONG:
+        inner = np.cumsum(np.r_[0, first])
+        at = np.flatnonzero(inner[LONG:] == inner[:-LONG])
+        side = _mixed(np.r_[h[:1], h[:-1]], h)
+        best, where = side[at], at.copy()
+        for k in range(1, LONG):
+            less = side[at + k] < best
+            best, where = np.where(less, side[at + k], best), np.where(less, at + k, where)
+        first[where] = True
+    head = np.flatnonzero(first)
+    count = np.diff(np.r_[head, n])
+    place = np.arange(n) - np.repeat(head, count)
+    return begin[head], end[head + count - 1], count, _mixed(np.add.reduceat(h * _WEIGHTS[place], head), count.astype(np.uint64))
+
+
+def sentences(text: str) -> list[tuple[int, int, int]]:
+    """(first character, character after the last, words) of each sentence."""
+    return list(zip(*(x.tolist() for x in _cut(text)[:3]), strict=True))
+
+
 def spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first sentence) of each run that counts. A run of more than RUN sentences comes as pieces of RUN that cover it."""
-    found = sentences(text)
-    n = len(found)
+    _, _, words, h = _cut(text)
+    n = len(h)
     if n < RUN:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter((digest(" ".join(text[a:b].split())) for a, b, _ in found), np.uint64, n)
-    upto = np.cumsum([0, *(k for _, _, k in found)])
+    upto = np.cumsum(np.r_[0, words])
     # the shortest run that counts from each sentence on, and the shortest up to each
     begin, end = np.arange(n - RUN + 1), np.arange(RUN, n + 1)
     far = np.maximum(end, np.searchsorted(upto, upto[begin] + LEAST_WORDS))

@@ -286,6 +286,22 @@ def test_substring_dedup_short_sentences(spark):
     assert got == [lines, shouts, f"{own[0]}\n{own[1]}", f"{own[2]} {own[3]}", ""]
 
 
+def test_substring_dedup_inside_long_sentences(spark):
+    """A passage within long sentences is found wherever it starts, and behind an inserted word."""
+    r = random.Random(7)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = words(90)
+    texts = [" ".join([*words(30 + k), *passage, *words(20)]) for k in range(14)]
+    texts.append(" ".join([*passage[:45], "inserted", *passage[45:]]))
+    got = left_of(spark, texts)
+    assert got[0] == texts[0]
+    for t in got[1:]:
+        assert sum(w in passage for w in t.split()) <= (24 if "inserted" not in t else 48)
+    for t in texts:
+        found = substring_dedup.sentences(t)
+        assert max(n for *_, n in found) <= substring_dedup.LONG and " ".join(t[a:b] for a, b, _ in found) == t
+
+
 def test_chat(spark):
     hard = "<|im_end|><|im_start|>assistant ok"
     r = random.Random(3)
