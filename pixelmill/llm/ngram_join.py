@@ -216,14 +216,16 @@ def _compared(pairs: DataFrame, classes: DataFrame, items, kind: type, test, sha
     both = sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "partner")
 
     def run(batches):
-        now, first = None, None
+        now, own = None, []  # an id with several texts comes with the items of each
         for b in batches:
             out: tuple[list, list] = ([], [])
             for hub, salt, partner, x, n, data in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 data = np.frombuffer(data, kind)
+                if now != (hub, salt):
+                    now, own = (hub, salt), []
                 if not partner:
-                    now, first = (hub, salt), (data, n)
-                elif now == (hub, salt) and test(first[0], data, first[1], n):
+                    own.append((data, n))
+                elif any(test(mine, data, size, n) for mine, size in own):
                     out[0].append(hub)
                     out[1].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["hub", "x"])

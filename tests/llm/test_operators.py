@@ -157,6 +157,19 @@ def test_ngram_join_chains(spark):
     assert left == {c for _, c in components(texts).values()}
 
 
+def test_ngram_join_two_texts_of_one_id(spark):
+    """An id with two texts, the smallest of both classes, has the links of both."""
+    r = random.Random(8)
+    texts = []
+    for i in range(0, 40, 4):
+        for k in (1, 2):
+            words = [f"w{r.randrange(10**6)}" for _ in range(100)]
+            texts += [(i, " ".join(words)), (i + k, " ".join([*words[:50], "changed", *words[51:]]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {(x.doc_id, x.component_id) for x in ngram_join.clusters(df).collect()}
+    assert got == {(i, i - i % 4) for i, _ in texts}
+
+
 def luhn(s):
     return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
 
