@@ -5,31 +5,41 @@ of each filter over a window feeds a softmax. A width's filters are a sum of one
 both directions are look-ups and small matrix products. A text's windows cover all of it; their probabilities, weighted by the
 bytes they hold, are averaged.
 
-The network is fitted on a bounded sample: up to per_lang texts of each language, of which snippets of snippet_chars
-characters at two places are taken. Null text, or text without a letter, is `und` with score 0; so is every row if nothing
-can be learned (an empty table, no labels). Null ids are carried along; rows that repeat an id are answered each.
+The network is fitted on a bounded sample: up to per_lang texts of each of the most_langs languages with most rows, of which
+snippets of snippet_chars characters at two places are taken. Languages are counted first, so that each row decides by a hash
+whether it can be in the sample, and what is sorted by language is about twice the sample at any input.
+
+Null text, or text without a letter (general category L), is `und` with score 0; so is every row if nothing can be learned (an
+empty table, no labels). Null ids are carried along; rows that repeat an id are answered each. Very long texts are read whole.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.session import ship
+from pixelmill.llm.common import ship, tidied
+from pixelmill.llm.tokens import some
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 WINDOW = 192
 
 
-def windows(data: bytes) -> np.ndarray:
-    """A text's bytes in rows of WINDOW, the last filled up with zeros."""
-    n = max(1, -(-len(data) // WINDOW))
-    return np.frombuffer(data.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts' bytes in rows of WINDOW, the last of each filled up with zeros; bytes that each row holds; each text's first row)."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    count = np.maximum(1, -(-size // WINDOW))
+    first = np.cumsum(count) - count
+    held = np.full(count.sum(), WINDOW, np.int64)
+    held[first + count - 1] = size - WINDOW * (count - 1)
+    data = b"".join(x.ljust(n * WINDOW, b"\0") for x, n in zip(texts, count.tolist(), strict=True))
+    return np.frombuffer(data, np.uint8).reshape(-1, WINDOW), held, first
 
 
 class Network:
@@ -106,15 +116,23 @@ def train(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 8, batch: in
     return net
 
 
-def fit(train_rows: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", per_lang: int = 600, snippet_chars: int = 400, seed: int = 5):
+def sample(rows: DataFrame, text_col: str, lang_col: str, order_col: str, per_lang: int, most_langs: int, snippet_chars: int, seed: int) -> DataFrame:
+    """(lang, r, text, more): two snippets of each text that the fit learns from."""
+    t = F.col(text_col).cast("string")
+    rows = rows.filter(t.isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), t.alias("whole"), F.col(order_col).alias("key"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()  # most_langs rows at most
+    shares = F.broadcast(rows.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * per_lang / r["count"])) for r in counts], "lang string, share double"))
+    place = F.xxhash64("key", "whole", F.lit(seed))
+    near = rows.withColumn("place", place).join(shares, "lang").filter((F.col("share") >= 1) | (F.pmod("place", F.lit(1 << 30)) < F.col("share") * (1 << 30)))
+    room = F.greatest(F.length("whole") - snippet_chars, F.lit(0)) + 1
+    snippet = lambda k: F.substr("whole", (F.pmod(F.xxhash64("place", F.lit(k)), room) + 1).cast("int"), F.lit(snippet_chars))
+    near = near.filter(F.col("whole").rlike(r"\p{L}")).select("lang", "place", snippet(0).alias("text"), snippet(1).alias("more"))
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))).filter(F.col("r") <= per_lang).select("lang", "r", "text", "more")
+
+
+def fit(train_rows: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", per_lang: int = 600, most_langs: int = 500, snippet_chars: int = 400, seed: int = 5):
     """(languages, network) from a bounded sample of labelled rows, or None if there is none."""
-    t, place = F.col(text_col).cast("string"), F.xxhash64(F.col(order_col), F.lit(seed))
-    room = F.greatest(F.length(t) - snippet_chars, F.lit(0)) + 1
-    by = Window.partitionBy("lang").orderBy("place", "text")
-    rows = train_rows.filter(t.rlike(r"\p{L}") & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), place.alias("place"), *(F.substr(t, (F.pmod(F.xxhash64(place, F.lit(k)), room) + 1).cast("int"), F.lit(snippet_chars)).alias(n) for k, n in enumerate(("text", "more"))))
-    rows = rows.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= per_lang)
-    got = sorted(((r["lang"], r["r"], r["text"], r["more"]) for r in rows.select("lang", "r", "text", "more").collect()))
+    got = sorted(map(tuple, sample(train_rows, text_col, lang_col, order_col, per_lang, most_langs, snippet_chars, seed).collect()))
     langs = sorted({g[0] for g in got})
     if not langs:
         return None
@@ -122,7 +140,7 @@ def fit(train_rows: DataFrame, text_col: str = "text", lang_col: str = "lang", o
     for lang, _, *texts in got:
         for s in texts:
             if LETTER.search(s):
-                w = windows(s.lower().encode())[:2]
+                w = windows([s.lower().encode()])[0][:2]
                 x.append(w)
                 y += [langs.index(lang)] * len(w)
     return langs, train(np.concatenate(x), np.array(y), len(langs), seed=seed)
@@ -131,29 +149,27 @@ def fit(train_rows: DataFrame, text_col: str = "text", lang_col: str = "lang", o
 def predict(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row, from its text alone."""
     spark = ship(df.sparkSession)
-    sent = spark.sparkContext.broadcast(model and (model[0], model[1], model[1].tables()))
+    sent = spark.sparkContext.broadcast(model and (np.array([*model[0], "und"], object), model[1], model[1].tables()))
+
+    def answer(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        names, net, tables = sent.value or (np.array(["und"], object), None, None)
+        best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+        told = [i for i, t in enumerate(texts) if net is not None and t is not None and LETTER.search(t)]
+        if told:
+            x, held, first = windows([texts[i].lower().encode() for i in told])
+            p = np.add.reduceat(net.probabilities(x, tables) * held[:, None], first, axis=0) / np.add.reduceat(held, first)[:, None]
+            best[told], score[told] = p.argmax(axis=1), np.clip(p.max(axis=1), 0, 1)
+        return names[best], score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sent.value
         for b in batches:
-            lang, score = [], []
-            for t in b.column(1).to_pylist():
-                if not got or t is None or not LETTER.search(t):
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                data = t.lower().encode()
-                x = windows(data)
-                held = np.full(len(x), WINDOW)
-                held[-1] = len(data) - WINDOW * (len(x) - 1)
-                p = held @ got[1].probabilities(x, got[2]) / held.sum()
-                k = int(p.argmax())
-                lang.append(got[0][k])
-                score.append(min(1.0, max(0.0, float(p[k]))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            texts = b.column(1).to_pylist()
+            for lo, hi in some([t or "" for t in texts], 1 << 20):
+                lang, score = answer(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

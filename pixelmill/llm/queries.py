@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelmill.llm import bpe_sql, chat, exact_dedup, langid, ngram_join, packing, pii, quality, substring_dedup, token_files
-from pixelmill.session import ship, table
+from pixelmill.llm.common import ship
+from pixelmill.session import table
 
 #: Pseudonyms in this library's own queries; a deployment passes its own.
 KEY = "example key, not a secret"
