@@ -5,8 +5,12 @@ whatever their source or size, and each group is packed alone: pieces in decreas
 sequence with room, found by walking down a tournament tree of what is left. A sequence is padded to the capacity, except
 where it already fills a power of two.
 
+The draw is a hash of a document's id, its ids and a seed, so a task that is run again, over rows in any order, deals them alike.
+Rows equal in id and text count how often their task has met them, and are dealt apart; of a very long document every
+SPAN pieces are dealt as a document of their own.
+
 Null text counts as empty: only the end id. A null id is carried along. Rows that repeat an id are packed each.
-Empty tables give empty results; other columns are ignored.
+Empty tables give empty results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.llm import tokens
-from pixelmill.llm.common import JSON_VOCAB, text_or_empty
-from pixelmill.session import ship
+from pixelmill.llm.common import JSON_VOCAB, ship, text_or_empty, tidied
 
+#: Pieces of one document that are dealt together.
+SPAN = 64
 _PIECE = "grp long, doc_id long, start long, length long, doc_tokens long, ids binary"
 _PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, padded_length long, ids binary"
 
@@ -75,37 +80,32 @@ def padded(fill: int, capacity: int) -> int:
     return fill if fill & (fill - 1) == 0 else capacity
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def pieces(df: DataFrame, groups: int, capacity: int = 1024, end_id: int = 0, vocab: str = JSON_VOCAB, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
-    """Tokenised documents cut into pieces, each with a random group. The draw depends on the row's place, not its key."""
+    """Tokenised documents cut into pieces, each with a random group that depends on the document alone."""
     ship(df.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, row = tokens.encoder(vocab), 0
-        base = np.uint64((TaskContext.get().partitionId() + 1) * 1_000_003 + seed)
+        enc = tokens.encoder(vocab)
+        met: dict[tuple[int | None, int], int] = {}  # of the rows of this task
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in tokens.some(texts):
                 out: list[list] = [[], [], [], [], [], []]
-                with np.errstate(over="ignore"):
-                    drawn = _mixed(_mixed(np.arange(row, row + hi - lo, dtype=np.uint64) + base) + base) % np.uint64(groups)
-                row += hi - lo
-                for doc, grp, data in zip(ids[lo:hi], drawn.tolist(), enc.encode(texts[lo:hi]), strict=True):
+                for doc, data in zip(ids[lo:hi], enc.encode(texts[lo:hi]), strict=True):
                     data += end
                     n = len(data) // 4
-                    for start in range(0, n, capacity):
+                    key = doc, xxhash.xxh3_64_intdigest(data, seed=seed)
+                    met[key] = again = met.get(key, 0) + 1
+                    for k, start in enumerate(range(0, n, capacity)):
+                        if k % SPAN == 0:
+                            grp = xxhash.xxh3_64_intdigest(f"{doc} {key[1]} {again} {k}") % groups
                         for column, value in zip(out, (grp, doc, start, min(capacity, n - start), n, data[4 * start : 4 * (start + capacity)]), strict=True):
                             column.append(value)
                 types = [pa.int64()] * 5 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["grp", "doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), text_or_empty(df, text_col).alias("text")).mapInArrow(run, _PIECE)
+    return df.select(df[id_col].cast("long").alias("doc_id"), text_or_empty(df, text_col).alias("text")).mapInArrow(tidied(run, "tokens"), _PIECE)
 
 
 def pack(df: DataFrame, capacity: int = 1024, group_docs: int = 2048, **how) -> DataFrame:

@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.llm import tokens
-from pixelmill.llm.common import JSON_VOCAB, Table, shared_dir, text_or_empty
-from pixelmill.session import ship
+from pixelmill.llm.common import JSON_VOCAB, Table, shared_dir, ship, text_or_empty, tidied
 
 MAGIC, BLOCK, HEAD = b"PFOR0001", 256, 7
 _FOOT = struct.Struct("<QQQQQQ")  # ids, blocks, documents, and the places of the three tables
@@ -257,7 +256,7 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(df[id_col].cast("long").alias("doc_id"), text_or_empty(df, text_col).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text")).withColumn("salt", F.rand(17))
     dealt = docs.repartitionByRange("doc_id", "h", "salt").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    listed = Table(dealt.mapInArrow(run, "part long, file string, n long"), "files")
+    listed = Table(dealt.mapInArrow(tidied(run, "tokens"), "part long, file string, n long"), "files")
     found = sorted((r["part"], r["file"], r["n"]) for r in listed.df.collect())
     listed.drop()
     before = accumulate((n for _, _, n in found), initial=0)
@@ -285,7 +284,7 @@ def read(spark: SparkSession, folder: str, files: list[tuple[str, int]]) -> Data
 
     n = max(1, len(files))
     rows = spark.createDataFrame(spark.sparkContext.parallelize(files, n), "file string, start long")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return rows.mapInArrow(tidied(run, "tokens"), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _batch(out: list[list]) -> pa.RecordBatch:

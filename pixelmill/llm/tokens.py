@@ -1,9 +1,9 @@
-"""A byte-level BPE encoder that asks the tokenizers library once per distinct word.
+"""A byte-level BPE encoder that asks the tokenizers library once per distinct pre-token.
 
-Byte-level BPE merges within a pre-token only, so a text's ids are its pre-tokens' ids in a row. Texts of
-common characters are cut at single spaces into units, each of whose ids are remembered; new words go to the
-library many at a time, already split, with a byte between them that no such text holds. Other texts go to the
-library whole. Equality with the library on whole texts is tested.
+Byte-level BPE merges within a pre-token only, so a text's ids are its pre-tokens' ids in a row. Texts of common characters
+are cut into pre-tokens by WORDS, and the ids of each are remembered; new ones go to the library many at a time, already
+split, with a byte between them that no such text holds. Other texts go to the library whole. Equality with the library on
+whole texts is tested.
 """
 
 from __future__ import annotations
@@ -12,24 +12,15 @@ import gc
 import os
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 
-#: Same matches as the vocabulary's own splitting pattern on texts that PLAIN admits.
+from pixelmill.llm.common import remembered
+
+#: Same matches as the vocabulary's own splitting pattern on texts without an ODD character.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 ODD = re.compile("[^\n\x20-\x7eÀ-ɏ]")
-_WORKER: dict = {}
-
-
-def plain(text: str) -> bool:
-    """Only letters, digits and signs on which WORDS is exact, and no space beside another white space."""
-    return not (ODD.search(text) or "  " in text or " \n" in text or "\n " in text)
-
-
-def units(text: str) -> list[str]:
-    """A plain text cut before every space: no pre-token crosses such a cut."""
-    return ("\0" + text).replace(" ", "\0 ").split("\0")[1:]
+_WORKER = remembered("tokens")
 
 
 class Encoder:
@@ -39,7 +30,7 @@ class Encoder:
     becomes the old one, whose words move up when they are met again.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000, max_bytes: int = 48 << 20):
+    def __init__(self, path: str, max_words: int = 150_000, max_bytes: int = 12 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import pre_tokenizers
 
@@ -65,7 +56,7 @@ class Encoder:
         return array("I", found.ids).tobytes()
 
     def _learn(self, words: list[str], at_once: int = 1000) -> None:
-        """Ids of new words, all of plain texts."""
+        """Ids of new words, each a match of WORDS."""
         for i in range(0, len(words), at_once):
             part = words[i : i + at_once]
             given = [x for w in part for x in (w, "\0")]
@@ -93,18 +84,10 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [units(x) if plain(x) else None for x in texts]
-        fresh = self._recall(set(chain.from_iterable(x for x in cut if x is not None)).difference(self.known))
-        if fresh:
-            mixed = {u: WORDS.findall(u) for u in fresh if not (u[:1] == " " and u[1:].isalpha())}
-            # A word is a unit of its own: WORDS finds it again as a whole.
-            parts = set(chain.from_iterable(mixed.values())).difference(self.known)
-            self._learn(list(self._recall(parts) | (fresh - mixed.keys())))
-            get = self.known.__getitem__
-            for u, words in mixed.items():
-                if len(words) != 1:
-                    self.known[u] = x = b"".join(map(get, words))
-                    self.bytes += len(u) + len(x)
+        cut = [None if ODD.search(x) else WORDS.findall(x) for x in texts]
+        new = self._recall(set().union(*(c for c in cut if c is not None)).difference(self.known))
+        if new:
+            self._learn(list(new))
         get = self.known.__getitem__
         out = [b"".join(map(get, c)) if c is not None else self._whole(x) for x, c in zip(texts, cut, strict=True)]
         if len(self.known) > self.max_words or self.bytes > self.max_bytes:
@@ -119,7 +102,7 @@ def encoder(path: str) -> Encoder:
     return _WORKER[path]
 
 
-def some(texts: list[str], most: int = 4 << 20):
+def some(texts: list[str], most: int = 2 << 20):
     """(first, last) of runs of texts of about so many characters, so that a batch of long texts stays small."""
     first = size = 0
     for i, x in enumerate(texts):
