@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.llm import exact_dedup, ngram_join, packing, pii, quality
-from pixelmill.llm.common import Table
+from pixelmill.llm.common import Table, ship
 from pixelmill.llm.queries import KEY
-from pixelmill.session import ship, table
+from pixelmill.session import table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(ship(spark), sf_dir, "documents")
+    docs, before = table(ship(spark), sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else Table(out, f"stage{k}").df
+        if k == len(STAGES) - 1:
+            return out  # it reads the table before it, which stays
+        now = Table(out, f"stage{k}")
+        if before:
+            before.drop()
+        docs, before = now.df, now
     return docs

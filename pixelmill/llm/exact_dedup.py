@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import cut
-from pixelmill.session import ship
+from pixelmill.llm.common import cut, ship, tidied
 
 _RUN = "digest binary, best long, n long"
 #: A digest held by more rows than a HOT-th of the table is hot; there are fewer than HOT of those.
@@ -135,7 +134,7 @@ def indexed(largest: bool, memtable: int):
             part = slice(i, i + (1 << 15))
             yield pa.RecordBatch.from_arrays([to_column(keys[part]), pa.array(best[part]), pa.array(n[part])], names=["digest", "best", "n"])
 
-    return run
+    return tidied(run)
 
 
 def sha256(text):

@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.llm.common import ship, tidied
 from pixelmill.llm.ngram_join import _hashes
-from pixelmill.session import ship
 
 RUN, LEAST_WORDS, LONG = 3, 8, 12
 _NONE = -(1 << 63)
@@ -154,7 +154,7 @@ def _places(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[
 
 def covered(df: DataFrame) -> DataFrame:
     """(doc, own, gone): sentences covered by a run that is not the first of its kind. df: doc, own, text."""
-    found = df.filter("text is not null").select("doc", "own", "text").mapInArrow(_places, "k long, settled boolean, doc long, own long, pos int")
+    found = df.filter("text is not null").select("doc", "own", "text").mapInArrow(tidied(_places), "k long, settled boolean, doc long, own long, pos int")
     order = Window.partitionBy("k", "settled").orderBy("doc", "own", "pos")
     later = found.withColumn("r", F.rank().over(order)).filter("settled or r > 1")
     each = later.select("doc", "own", F.explode(F.sequence(F.col("pos"), F.col("pos") + RUN - 1)).alias("pos"))
@@ -175,4 +175,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 done = [(None, 0, 0) if t is None else without(t, set(g or ())) for t, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], names=["doc_id", "text", "n_sentences", "n_removed"])
 
-    return joined.mapInArrow(run, "doc_id long, text string, n_sentences long, n_removed long")
+    return joined.mapInArrow(tidied(run), "doc_id long, text string, n_sentences long, n_removed long")
