@@ -107,7 +107,24 @@ def test_quality(docs, none):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
     assert quality.decisions(none).count() == 0
     plan = quality.kept(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and plan.count("split(") <= 2  # nothing is copied into the filter
+    assert "Python" not in plan and "Arrow" not in plan
+    one = quality.cascade(docs, to="why")
+    assert one.columns == [*docs.columns, "why"] and one.filter("why is null").count() == kept.count()
+
+
+def test_quality_stops_at_the_first_rule_that_rejects(spark):
+    """A rule is not evaluated on a text that an earlier one rejects: here it would fail."""
+    df = spark.createDataFrame([(1, "bad text"), (2, "good text"), (3, None)], "doc_id long, text string")
+    calls = {
+        "cheap": quality.Rule(lambda t, w: ~t.contains("good"), None),
+        "dear": quality.Rule(lambda t, w: F.when(t.contains("good"), F.lit(False)).otherwise(F.raise_error(F.lit("evaluated")).cast("boolean")), None),
+    }
+    why = quality.verdict(F.coalesce("text", F.lit("")), ["cheap", "dear"], calls)
+    assert [r.why for r in df.withColumn("why", why).orderBy("doc_id").collect()] == ["cheap", None, "cheap"]
+    with pytest.raises(Exception, match="evaluated"):
+        df.withColumn("why", quality.verdict(F.coalesce("text", F.lit("")), ["dear", "cheap"], calls)).collect()
+    order = quality.order_rules(spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("words of text "), 300).alias("text")), rules={"never": quality.RULES["no_letter"], "always": quality.Rule(lambda t, w: t.contains("text"), None)})
+    assert [x["rule"] for x in order] == ["always", "never"] and [x["rejects"] for x in order] == [1.0, 0.0]
 
 
 def components(texts, percent=80):
@@ -151,12 +168,32 @@ def test_ngram_join_chains(spark):
     passage = " ".join(f"p{k}" for k in range(60))
     texts += [(2000 + i, " ".join(f"q{r.randrange(10**6)}" for _ in range(90)) + " " + passage) for i in range(30)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.clusters(df, hot=5).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.clusters(df, hot=5, few=2, share=16).collect()}
     assert got == components(texts)
     left = {x.doc_id for x in ngram_join.representatives(df).collect()}
     assert left == {c for _, c in components(texts).values()}
 
 
+def test_ngram_join_common_passage(spark):
+    """A shingle that all documents hold, in many components: near copies of several texts, and texts alone, around one passage."""
+    r = random.Random(11)
+    passage = [f"p{k}" for k in range(40)]
+    texts = []
+    for g in range(30):
+        own = [f"w{r.randrange(10**6)}" for _ in range(r.randint(20, 60))]
+        for k in range(r.choice([1, 1, 2, 6])):
+            words = passage + own
+            for _ in range(r.choice([0, 1, 3])):
+                words = list(words)
+                words[r.randrange(40, len(words))] = f"new{r.randrange(10**6)}"
+            texts.append((r.randrange(10**9), " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    want = components(texts)
+    assert 10 < len({c for _, c in want.values()}) < len(texts)
+    for how in ({}, {"hot": 5, "share": 4}, {"few": 0, "share": 4}, {"few": 10**6}):
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.clusters(df, **how).collect()} == want
+
+
 def test_ngram_join_two_texts_of_one_id(spark):
     """An id with two texts, the smallest of both classes, has the links of both."""
     r = random.Random(8)
@@ -218,6 +255,18 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_draws_by_document(spark):
+    """The groups do not depend on the order or the partitions of the rows; repeated rows and long documents are spread."""
+    r = random.Random(9)
+    df = spark.createDataFrame([(i, prose(r, 5)) for i in range(200)], "doc_id long, text string")
+    place = lambda x: {p.doc_id: p.grp for p in packing.pieces(x, 20).collect()}
+    first = place(df.repartition(5))
+    assert first == place(df.orderBy(F.desc("doc_id")).coalesce(1)) and len(set(first.values())) > 15
+    same = collections.Counter(p.grp for p in packing.pieces(spark.createDataFrame([(1, "one text")] * 400, "doc_id long, text string").coalesce(1), 20).collect())
+    long = collections.Counter(p.grp for p in packing.pieces(spark.createDataFrame([(1, prose(r, 9000))], "doc_id long, text string"), 20, capacity=8).collect())
+    assert max(same.values()) < 60 and len(long) > 10
+
+
 def test_first_fit_decreasing():
     r = random.Random(2)
     sizes = [r.randint(1, 100) for _ in range(500)]
@@ -263,6 +312,27 @@ def test_bpe_sql(spark, docs, none):
     assert {r.id: bytes(r.decoded) for r in bpe_sql.decode(lists, "i", "ids").collect()} == {1: "héllo wörld".encode(), 2: b"", 3: b""}
 
 
+def test_bpe_sql_long_words(spark):
+    """Pre-tokens of any length, against the ranks' own library; a hundred thousand bytes end soon."""
+    import base64
+    import time
+
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(bpe_sql.RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(5)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (255, 256, 257, 600, 5000, 100_000)]
+    texts += ["a" * 5000, "ab" * 3000, "=-" * 2000, "é" * 1000, "x" * 257, "the" * 700, "0123456789" * 500, " " * 3000, "aaaaaaab" * 300, "日本" * 400, "".join(r.choices("ab", k=3000))]
+    began = time.time()
+    got = {x.doc_id: x for x in bpe_sql.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+    assert time.time() - began < 60
+    for i, t in enumerate(texts):
+        assert got[i].ids == " ".join(map(str, plain.encode_ordinary(t))) and bytes(got[i].decoded) == t.encode()
+
+
 def test_substring_dedup(docs, none):
     found = collections.defaultdict(set)
     key = lambda i, t: (-(1 << 63) if i is None else i, t)
@@ -346,16 +416,38 @@ def test_language(spark, none):
     words = {"aa": ["the", "and", "of", "th"], "bb": ["der", "ung", "sch", "ß"], "cc": ["que", "é", "eau", "les"]}
     data = [(i, " ".join("".join(r.choices(words[x], k=2)) for _ in range(40)), x) for i in range(300) for x in [r.choice(list(words))]]
     data += [(1000, None, "aa"), (1001, "123 !!", "aa"), (None, "the and of", None), (1002, "the and " * 20000, None)]
+    data += [(1003, "½ ² ³", "aa"), (1004, "Ⅷ ①", "aa"), (1005, "1_2 __ ٣ \u0301", None), (1006, "ª ʰ 中", None)]  # only category L is a letter
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
     got = {x.doc_id: x for x in langid.identify(df).collect()}
     assert all(x.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, x in got.items() if i is not None)
     tested = [(got[i].lang_pred, x) for i, _, x in data[:300] if got[i].held_out]
     assert np.mean([a == b for a, b in tested]) > 0.95
     assert got[1000].lang_pred == got[1001].lang_pred == "und" and got[1002].lang_pred == "aa" and all(0 <= x.score <= 1 for x in got.values())
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1003, 1004, 1005)) and got[1006].lang_pred != "und"
     empty = none.withColumn("lang", F.lit(None).cast("string"))
     assert langid.identify(empty).count() == 0
 
 
+def test_language_one_text_or_many(spark):
+    """A text's answer does not depend on the texts beside it: batched windows against one text at a time."""
+    r = random.Random(3)
+    texts = ["".join(r.choices("abcdeé ", k=r.choice([1, 5, 191, 192, 193, 900]))) + "a" for _ in range(60)]
+    net = langid.Network(3)
+    got = {x.doc_id: x for x in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), (["a", "b", "c"], net)).collect()}
+    for i, t in enumerate(texts):
+        data = t.encode()
+        rows = [data[k : k + 192] for k in range(0, len(data), 192)]
+        x = np.stack([np.frombuffer(y.ljust(192, b"\0"), np.uint8) for y in rows])
+        p = np.average(net.probabilities(x, net.tables()), axis=0, weights=[len(y) for y in rows])
+        assert got[i].lang_pred == "abc"[p.argmax()] and abs(got[i].score - p.max()) < 1e-5
+
+
+def test_language_sample_is_bounded(spark):
+    df = spark.range(20000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "if(id % 3 = 0, 'a', 'b') AS lang")
+    got = langid.sample(df, "text", "lang", "doc_id", 50, 500, 400, 5)
+    assert {r.lang: r["count"] for r in got.groupBy("lang").count().collect()} == {"a": 50, "b": 50}
+
+
 def test_gradients_match_differences():
     r = np.random.default_rng(0)
     net = langid.Network(3)
