@@ -30,7 +30,7 @@ class Encoder:
     becomes the old one, whose words move up when they are met again.
     """
 
-    def __init__(self, path: str, max_words: int = 150_000, max_bytes: int = 12 << 20):
+    def __init__(self, path: str, max_words: int = 200_000, max_bytes: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import pre_tokenizers
 
