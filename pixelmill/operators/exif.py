@@ -1,4 +1,4 @@
-"""Declared orientation from JPEG, WebP, HEIF and bare TIFF bytes, in one Arrow-batched function.
+"""Declared orientation from JPEG, WebP, HEIF and AVIF bytes, in one Arrow-batched function.
 
 Every reader is total: malformed, hostile or truncated bytes mean upright (1). Every loop moves forward by at least a
 header a turn and is bounded by the bytes given.
@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelmill.functions.headers import AVIF_BRANDS, HEIF_BRANDS
+
 EXIF = b"Exif\0\0"
 
 
@@ -23,15 +25,15 @@ def _u(data: bytes, at: int, n: int, order: str = "big") -> int | None:
     return int.from_bytes(data[at : at + n], order)
 
 
-def tiff_orientation(data: bytes) -> int | None:
-    """Tag 0x0112 of the first directory, if it is one short of 1 to 8."""
-    order = {b"II": "little", b"MM": "big"}.get(data[:2])
-    if order is None or _u(data, 2, 2, order) != 42:
+def tiff_orientation(data: bytes, start: int = 0) -> int | None:
+    """Tag 0x0112 of the first directory of the block that begins at start, if it is one short of 1 to 8."""
+    order = {b"II": "little", b"MM": "big"}.get(data[start : start + 2]) if start >= 0 else None
+    if order is None or _u(data, start + 2, 2, order) != 42:
         return None
-    at = _u(data, 4, 4, order)
-    count = _u(data, at, 2, order) if at is not None else None
+    at = _u(data, start + 4, 4, order)
+    count = _u(data, start + at, 2, order) if at is not None else None
     for k in range(count or 0):
-        entry = at + 2 + 12 * k
+        entry = start + at + 2 + 12 * k
         tag = _u(data, entry, 2, order)
         if tag is None:
             return None
@@ -44,37 +46,33 @@ def tiff_orientation(data: bytes) -> int | None:
 
 
 def jpeg_orientation(data: bytes) -> int | None:
-    """The first Exif segment before the scan; other application segments are passed over."""
-    at = 2
-    while at + 4 <= len(data) and data[at] == 0xFF:
+    """The first Exif segment before the scan that can be read; others, and markers that stand alone, are passed over."""
+    at, found = 2, None
+    while found is None and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
         marker = data[at + 1]
         if marker == 0xFF:
             at += 1
-            continue
-        if marker == 0x01 or 0xD0 <= marker <= 0xD8:
+        elif marker == 0x01 or 0xD0 <= marker <= 0xD9:
             at += 2
-            continue
-        if marker in (0xDA, 0xD9):
-            return None
-        length = _u(data, at + 2, 2)
-        if length is None or length < 2:
-            return None
-        if marker == 0xE1 and data[at + 4 : at + 10] == EXIF:
-            return tiff_orientation(data[at + 10 : at + 2 + length])
-        at += 2 + length
-    return None
+        else:
+            length = _u(data, at + 2, 2)
+            if length < 2:
+                return None
+            if marker == 0xE1 and data.startswith(EXIF, at + 4):
+                found = tiff_orientation(data, at + 4 + len(EXIF))
+            at += 2 + length
+    return found
 
 
 def webp_orientation(data: bytes) -> int | None:
-    """The EXIF chunk; chunks are padded to even sizes, and the identifier may be there or not."""
-    at = 12
-    while at + 8 <= len(data):
+    """The first EXIF chunk that can be read; chunks are padded to even sizes, and the identifier may be there or not."""
+    at, found = 12, None
+    while found is None and at + 8 <= len(data):
         size = _u(data, at + 4, 4, "little")
-        if data[at : at + 4] == b"EXIF":
-            body = data[at + 8 : at + 8 + size]
-            return tiff_orientation(body[6:] if body.startswith(EXIF) else body)
+        if data.startswith(b"EXIF", at):
+            found = tiff_orientation(data, at + 8 + len(EXIF) * data.startswith(EXIF, at + 8))
         at += 8 + size + (size & 1)
-    return None
+    return found
 
 
 def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -184,28 +182,34 @@ def _exif_item(data: bytes, start: int, end: int) -> int | None:
 
 
 def _exif_block(block: bytes) -> int | None:
-    """A declared TIFF offset, else the identifier."""
+    """At the declared TIFF offset, else behind an identifier."""
     skip = _u(block, 0, 4)
-    found = tiff_orientation(block[4 + skip :]) if skip is not None else None
-    if found is None and EXIF in block[:64]:
-        found = tiff_orientation(block[block.index(EXIF) + 6 :])
+    found = tiff_orientation(block, 4 + skip) if skip is not None else None
+    if found is None and block.startswith(EXIF, 4):
+        found = tiff_orientation(block, 4 + len(EXIF))
     return found
 
 
+def _heif_brand(data: bytes) -> bool:
+    """The first box names a still-image brand, as major or compatible one."""
+    size = _u(data, 0, 4)
+    if size is None or data[4:8] != b"ftyp":
+        return False
+    end = min(size, len(data))
+    brands = {data[8:12], *(data[k : k + 4] for k in range(16, end - 3, 4))}
+    return any(b.encode() in brands for b in HEIF_BRANDS + AVIF_BRANDS)
+
+
 def read_orientation(data: bytes | None) -> int:
-    """1 to 8, by the bytes' own format."""
-    if not data:
-        return 1
-    if data[:2] == b"\xff\xd8":
-        found = jpeg_orientation(data)
-    elif data[:4] == b"RIFF" and data[8:12] == b"WEBP":
-        found = webp_orientation(data)
-    elif data[4:8] == b"ftyp":
-        found = heif_orientation(data)
-    elif data[:4] in (b"II*\0", b"MM\0*"):
-        found = tiff_orientation(data)
-    else:
-        found = None
+    """1 to 8, by the bytes' own format; formats that declare none, and unknown ones, are upright."""
+    found = None
+    if data:
+        if data[:2] == b"\xff\xd8":
+            found = jpeg_orientation(data)
+        elif data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+            found = webp_orientation(data)
+        elif _heif_brand(data):
+            found = heif_orientation(data)
     return found or 1
 
 
@@ -217,5 +221,5 @@ def _read(content: pd.Series) -> pd.Series:
 def orientation_of(content: Column) -> Column:
     """The declared orientation; formats that cannot declare one never reach Python as bytes."""
     two = F.substring(content, 1, 2)
-    may = (two == F.lit(b"\xff\xd8")) | (two == F.lit(b"II")) | (two == F.lit(b"MM")) | (F.substring(content, 1, 4) == F.lit(b"RIFF")) | (F.substring(content, 5, 4) == F.lit(b"ftyp"))
+    may = (two == F.lit(b"\xff\xd8")) | (F.substring(content, 1, 4) == F.lit(b"RIFF")) | (F.substring(content, 5, 4) == F.lit(b"ftyp"))
     return F.coalesce(_read(F.when(may, content)), F.lit(1))

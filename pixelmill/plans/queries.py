@@ -106,11 +106,20 @@ def probe_jpeg(spark, d):
     return t.select("p_partkey", col("p.format").alias("format"), col("p.width").alias("width"), col("p.height").alias("height"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 10 BETWEEN 1 AND 8 THEN l_orderkey % 10 ELSE 1 END::INTEGER AS orientation FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, (CASE WHEN l_linenumber % 3 = 2 THEN [1, 8, 3, 6][l_orderkey % 4 + 1]
+  WHEN l_orderkey % 10 BETWEEN 1 AND 8 THEN l_orderkey % 10 ELSE 1 END)::INTEGER AS orientation FROM lineitem""")
 def exif_orientation(spark, d):
+    """JPEG, WebP and HEIF files from keys. Before the block that counts stand an Exif block without the tag and, in a JPEG, a
+    marker that stands alone."""
     ship(spark)
-    tiff = F.unhex(F.concat(lit("49492A000800000001001201030001000000"), H.hex_le(col("l_orderkey") % 10, 2), lit("000000000000")))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", exif.orientation_of(tiff).alias("orientation"))
+    k, exif_id, none = col("l_orderkey"), b"Exif\0\0".hex(), "49492A0008000000" + "0000" + "00000000"
+    tiff = F.concat(lit("49492A000800000001001201030001000000"), H.hex_le(k % 10, 2), lit("000000000000"))
+    jpeg = F.concat(lit(f"FFD8FFE10016{exif_id}{none}FFD9FFE10022{exif_id}"), tiff)
+    webp = F.concat(lit(f"{b'RIFF'.hex()}00000000{b'WEBPEXIF'.hex()}0E000000{none}{b'EXIF'.hex()}1A000000"), tiff)
+    heif = F.concat(lit(f"00000014{b'ftypisom'.hex()}00000000{b'mif1'.hex()}00000025{b'meta'.hex()}0000000000000019{b'iprp'.hex()}00000011{b'ipco'.hex()}00000009{b'irot'.hex()}"), H.hex_be(k % 4, 1))
+    which = col("l_linenumber") % 3
+    content = F.unhex(F.when(which == 0, jpeg).when(which == 1, webp).otherwise(heif))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", exif.orientation_of(content).alias("orientation"))
 
 
 def _rects(spark, d):

@@ -71,14 +71,25 @@ def test_orientations():
     for v in range(1, 9):
         for order in "<>":
             body = tiff(v, order, before=[struct.pack(order + "HHII", 0x0100, 4, 1, 7)])
-            assert exif.read_orientation(body) == v
+            assert exif.tiff_orientation(body) == v and exif.read_orientation(body) == 1  # a bare block is no image
             assert exif.read_orientation(b"\xff\xd8" + app(b"http://ns.adobe.com/xap/1.0/\0") + app(exif.EXIF + body)) == v
             assert exif.read_orientation(b"RIFF\0\0\0\0WEBP" + b"ODD \1\0\0\0x\0" + b"EXIF" + struct.pack("<I", len(body)) + body) == v
-    assert exif.read_orientation(tiff(9)) == 1 and exif.read_orientation(tiff(6, kind=4)) == 1 and exif.read_orientation(None) == 1
+    assert exif.tiff_orientation(tiff(9)) is None and exif.tiff_orientation(tiff(6, kind=4)) is None and exif.read_orientation(None) == 1
     # after the scan has begun, nothing counts
     assert exif.read_orientation(b"\xff\xd8" + app(b"", 0xDA) + app(exif.EXIF + tiff(6))) == 1
 
 
+def test_walks_go_on_behind_what_cannot_be_read():
+    bad, good = exif.EXIF + tiff(9), exif.EXIF + tiff(6)
+    assert exif.read_orientation(b"\xff\xd8" + app(bad) + app(good)) == 6
+    for alone in (0x01, 0xD0, 0xD7, 0xD8, 0xD9):
+        assert exif.read_orientation(b"\xff\xd8" + bytes([0xFF, alone]) + app(good)) == 6
+    chunk = lambda x: b"EXIF" + struct.pack("<I", len(x)) + x + b"\0" * (len(x) % 2)
+    assert exif.read_orientation(b"RIFF\0\0\0\0WEBP" + chunk(bad) + chunk(b"odd") + chunk(good)) == 6
+    assert exif.read_orientation(heif([(b"irot", 3)], b"isom")) == 6  # by a compatible brand
+    assert exif.read_orientation(heif([(b"irot", 3)]).replace(b"heic", b"isom").replace(b"mif1", b"mp42")) == 1
+
+
 def test_heif_turns():
     assert exif.read_orientation(heif([(b"irot", 1)])) == 8 and exif.read_orientation(heif([(b"irot", 3)])) == 6
     assert exif.read_orientation(heif([(b"imir", 1)])) == 2 and exif.read_orientation(heif([(b"imir", 0)])) == 4
