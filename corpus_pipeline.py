@@ -33,7 +33,8 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack(docs))
+    # the stages before leave an executor's heap grown: workers here get less to remember
+    return packing.digests(packing.pack(docs, remember=200_000))
 
 
 STAGES = [

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pixelmill import session
 
 #: Bytes of the batches that Spark and a Python worker exchange: both hold some at a time.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 JSON_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 

@@ -80,13 +80,14 @@ def padded(fill: int, capacity: int) -> int:
     return fill if fill & (fill - 1) == 0 else capacity
 
 
-def pieces(df: DataFrame, groups: int, capacity: int = 1024, end_id: int = 0, vocab: str = JSON_VOCAB, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
-    """Tokenised documents cut into pieces, each with a random group that depends on the document alone."""
+def pieces(df: DataFrame, groups: int, capacity: int = 1024, end_id: int = 0, vocab: str = JSON_VOCAB, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, remember: int = 600_000) -> DataFrame:
+    """Tokenised documents cut into pieces, each with a random group that depends on the document alone. remember: pre-tokens that a
+    worker may keep twice, a trade of memory for time."""
     ship(df.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(vocab)
+        enc = tokens.encoder(vocab, remember)
         met: dict[tuple[int | None, int], int] = {}  # of the rows of this task
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()

@@ -206,23 +206,17 @@ class Reader:
         some = unpack_blocks(self.data, self.offsets[first:last], min(self.total, last * BLOCK) - first * BLOCK)
         return some[start - first * BLOCK : start - first * BLOCK + n]
 
-    def documents(self, most: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(id, place, ids) of each document."""
-        k = at = 0
+    def runs(self, most: int = 1 << 20) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids of documents, their places, their sizes, all their ids in a row) of runs of documents."""
+        place = np.cumsum(np.r_[0, self.sizes])
+        k = 0
         while k < len(self.docs):
-            last, n = k, 0
-            while last < len(self.docs) and (n == 0 or n + self.sizes[last] <= most):
-                n += int(self.sizes[last])
-                last += 1
-            run, done = self.ids(at, n), 0
-            for i in range(k, last):
-                size = int(self.sizes[i])
-                yield self.docs[i], at + done, run[done : done + size]
-                done += size
-            k, at = last, at + n
-
-
-def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, vocab: str = JSON_VOCAB) -> list[tuple[str, int]]:
+            last = max(k + 1, int(np.searchsorted(place, place[k] + most, "right")) - 1)
+            yield self.docs[k:last], place[k:last], self.sizes[k:last], self.ids(int(place[k]), int(place[last] - place[k]))
+            k = last
+
+
+def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, vocab: str = JSON_VOCAB, remember: int = 600_000) -> list[tuple[str, int]]:
     """Writes df's documents below folder (a URI all executors see). Returns (file, ids before it) in order of id.
 
     What comes to the driver is a row for each file, as with any table's listing.
@@ -231,7 +225,7 @@ def write(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc, state = TaskContext.get(), tokens.encoder(vocab), {"ids": 0, "docs": 0}
+        part, enc, state = TaskContext.get(), tokens.encoder(vocab, remember), {"ids": 0, "docs": 0}
         rows = iter(batches)
         first = next((b for b in rows if b.num_rows), None)
         if first is None:
@@ -271,27 +265,16 @@ def read(spark: SparkSession, folder: str, files: list[tuple[str, int]]) -> Data
         store = _Store(folder)
         for b in batches:
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out: list[list] = [[], [], [], []]
-                held = 0
-                for doc, at, ids in Reader(store.read(name)).documents():
-                    for column, value in zip(out, (doc, start + at, len(ids), ids.astype("<u4").tobytes()), strict=True):
-                        column.append(value)
-                    held += len(ids)
-                    if held >= 1 << 20:
-                        yield _batch(out)
-                        out, held = [[], [], [], []], 0
-                yield _batch(out)
+                for docs, place, sizes, ids in Reader(store.read(name)).runs():
+                    ends = np.cumsum(np.r_[0, 4 * sizes])
+                    data = pa.Array.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4", copy=False))])
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + place), pa.array(sizes), data.cast(pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     n = max(1, len(files))
     rows = spark.createDataFrame(spark.sparkContext.parallelize(files, n), "file string, start long")
     return rows.mapInArrow(tidied(run, "tokens"), "doc_id long, start long, n_tokens long, ids binary")
 
 
-def _batch(out: list[list]) -> pa.RecordBatch:
-    types = [pa.int64()] * 3 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
-
-
 def round_trip(df: DataFrame) -> DataFrame:
     """Writes df's ids to a new shared folder and reads them back."""
     folder = f"{shared_dir(df.sparkSession)}/tokens-{uuid.uuid4().hex}"

@@ -26,11 +26,11 @@ _WORKER = remembered("tokens")
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Two generations of words are remembered, each of at most max_words and max_bytes (and one call's): a full one
-    becomes the old one, whose words move up when they are met again.
+    Two generations of words are remembered, each of at most max_words, and of 80 bytes a word (and one call's): a full one
+    becomes the old one, whose words move up when they are met again. Python's objects take some 250 bytes a word.
     """
 
-    def __init__(self, path: str, max_words: int = 200_000, max_bytes: int = 16 << 20):
+    def __init__(self, path: str, max_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import pre_tokenizers
 
@@ -40,7 +40,7 @@ class Encoder:
         (self.gap,) = self.split.encode("\0", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.max_words, self.max_bytes, self.bytes = max_words, max_bytes, 0
+        self.max_words, self.max_bytes, self.bytes = max_words, 80 * max_words, 0
 
     def _load(self):
         from tokenizers import Tokenizer
@@ -95,14 +95,14 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int) -> Encoder:
     """The worker's own encoder, kept between tasks."""
-    if path not in _WORKER:
-        _WORKER[path] = Encoder(path)
-    return _WORKER[path]
+    if _WORKER.get("of") != (path, remember):
+        _WORKER.update(of=(path, remember), encoder=Encoder(path, remember))
+    return _WORKER["encoder"]
 
 
-def some(texts: list[str], most: int = 2 << 20):
+def some(texts: list[str], most: int = 4 << 20):
     """(first, last) of runs of texts of about so many characters, so that a batch of long texts stays small."""
     first = size = 0
     for i, x in enumerate(texts):
